@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_decontamination
+from .mixing import op6_mixing
+from .simhash import op2_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op4_suffix_array_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op6_mixing": op6_mixing,
+    "op9_decontamination": op9_decontamination,
 }
 
 OP1_SQL = r"""
@@ -61,7 +67,63 @@ SELECT h.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, c
 FROM hexes h LEFT JOIN sums s ON h.doc_id = s.doc_id LEFT JOIN kept k ON h.doc_id = k.doc_id
 """
 
+OP6_SQL = r"""
+WITH sizes AS (
+  SELECT doc_id, source, coalesce(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0)::BIGINT AS size FROM documents
+), per AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sizes GROUP BY source
+), ranked AS (
+  SELECT *, [5, 2, 1][place % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS cap FROM per
+), filled AS (
+  SELECT *, cap / weight AS fills, sum(source_size) OVER () * 1.5::DOUBLE AS everything, sum(weight) OVER () AS weights FROM ranked
+), levels AS (
+  SELECT *, (everything - coalesce(sum(cap) OVER b, 0.0)) / (weights - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level
+  FROM filled WINDOW b AS (ORDER BY fills, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), first AS (
+  SELECT fills AS f, place AS p, level AS l FROM levels WHERE level < fills ORDER BY fills, place LIMIT 1
+), targets AS (
+  SELECT source, source_size, CASE WHEN l IS NOT NULL AND (fills > f OR (fills = f AND place >= p)) THEN l * weight ELSE cap END AS target
+  FROM levels LEFT JOIN first ON true
+), good AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 2.0 ELSE 1.0 END)::DOUBLE AS w FROM labels GROUP BY doc_id
+), drawn AS (
+  SELECT s.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs,
+    -ln((('0x' || substr(md5(concat_ws('|', '42', s.doc_id::VARCHAR, size::VARCHAR)), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE) / coalesce(w, 1.0::DOUBLE) AS key
+  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN good g ON s.doc_id = g.doc_id
+), summed AS (
+  SELECT *, floor(target)::BIGINT - epochs * source_size AS budget,
+    coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM drawn
+)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - before)))::BIGINT AS taken FROM summed
+"""
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), spans AS (
+  SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0
+), item_windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS x FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM spans)
+), doc_windows AS (
+  SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS x
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM spans) WHERE len(w) >= n)
+), hits AS (
+  SELECT doc_id, item_id, n, s FROM doc_windows JOIN item_windows USING (n, x)
+), words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
 SQL = {
     "op1_substring_dedup": OP1_SQL,
     "op4_suffix_array_dedup": OP4_SQL,
+    "op6_mixing": OP6_SQL,
+    "op9_decontamination": OP9_SQL,
 }
