@@ -7,12 +7,16 @@ from .mixing import op6_mixing
 from .simhash import op2_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op4_suffix_array_dedup
+from .topk import op5_exact_topk
+from .warc import op7_warc
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_exact_topk": op5_exact_topk,
     "op6_mixing": op6_mixing,
+    "op7_warc": op7_warc,
     "op9_decontamination": op9_decontamination,
 }
 
@@ -67,6 +71,34 @@ SELECT h.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, c
 FROM hexes h LEFT JOIN sums s ON h.doc_id = s.doc_id LEFT JOIN kept k ON h.doc_id = k.doc_id
 """
 
+OP5_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+OP7_SQL = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(encode(coalesce(html, ''))) AS h FROM pages
+), groups AS (
+  SELECT h, list_transform(range(0, 8), lambda k: ('0x' || substr(h, 1 + 5 * k, 5))::BIGINT) AS g FROM (SELECT DISTINCT h FROM p)
+), digests AS (
+  SELECT h, array_to_string(list_transform(range(0, 32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((g[k // 4 + 1] >> (5 * (3 - k % 4))) & 31), 1)), '') AS payload_digest FROM groups
+), firsts AS (
+  SELECT h, min(page_id) AS f FROM p GROUP BY h
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to
+FROM p JOIN digests USING (h) JOIN firsts USING (h)
+"""
+
 OP6_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0)::BIGINT AS size FROM documents
@@ -124,6 +156,8 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 SQL = {
     "op1_substring_dedup": OP1_SQL,
     "op4_suffix_array_dedup": OP4_SQL,
+    "op5_exact_topk": OP5_SQL,
     "op6_mixing": OP6_SQL,
+    "op7_warc": OP7_SQL,
     "op9_decontamination": OP9_SQL,
 }
