@@ -7,6 +7,7 @@ from .mixing import op6_mixing
 from .simhash import op2_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op4_suffix_array_dedup
+from .toxicity import op8_toxicity
 from .topk import op5_exact_topk
 from .warc import op7_warc
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_exact_topk": op5_exact_topk,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
+    "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
 }
 
