@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op9_decontamination
+from .line_dedup import op3_line_dedup
 from .mixing import op6_mixing
 from .simhash import op2_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
@@ -14,6 +15,7 @@ from .warc import op7_warc
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_exact_topk": op5_exact_topk,
     "op6_mixing": op6_mixing,
