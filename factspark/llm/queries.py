@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op9_decontamination
+from .licenses import op10_license_scan
 from .line_dedup import op3_line_dedup
 from .mixing import op6_mixing
 from .simhash import op2_simhash_near_dedup
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
+    "op10_license_scan": op10_license_scan,
 }
 
 OP1_SQL = r"""
