@@ -53,7 +53,7 @@ def _matches(words: Column, item: Column, shift: Column, span: Column) -> Column
     return F.when(high - low + 1 >= span, F.transform(starts, lambda s: s + shift)).otherwise(F.array().cast("array<int>"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: float = 0.05) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: float = 0.05, carry: bool = False) -> DataFrame:
     """Where documents repeat benchmark items word for word.
 
     Words are runs of ASCII letters (A-Z lower-cased), digits and non-ASCII
@@ -69,7 +69,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     ``share`` of the words), a row for each input row. Null and empty texts have no
     words; items without words match nothing; items with one id count as one item.
     Rows without doc_id, and rows that repeat one, are judged by their own text.
-    Columns besides doc_id, text and item_id are ignored.
+    Columns besides doc_id, text and item_id are ignored, unless ``carry`` asks for
+    the whole input row as a struct column named row.
     """
     items = materialize(item_words(benchmark, width), "items")
     vocabulary = materialize(items.select(F.explode("words").alias("term")).distinct(), "vocabulary")
@@ -85,9 +86,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
         .join(_small(texts), "item_id")
         .groupBy("doc_id").agg(F.collect_list(F.struct("name", "item", "span", "shifts")).alias("candidates"))
     )
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = base.join(found, base.doc_id.eqNullSafe(found.doc_id), "left").select(base.doc_id, "text", "candidates")
-    words = joined.select("doc_id", alnum_words(F.col("text")).alias("words"), "candidates")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*(docs.columns if carry else ["text"])).alias("row"))
+    joined = base.join(found, base.doc_id.eqNullSafe(found.doc_id), "left").select(base.doc_id, "row", "candidates")
+    kept = ["row"] if carry else []
+    words = joined.select("doc_id", alnum_words(F.col("row.text")).alias("words"), "candidates", *kept)
     each = F.transform(
         "candidates",
         lambda c: F.struct(
@@ -97,15 +99,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
         ),
     )
     none = F.array().cast("array<struct<item_id:string,span:int,starts:array<int>>>")
-    judged = words.select("doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce(F.filter(each, lambda m: F.size(m["starts"]) > 0), none).alias("matches"))
+    judged = words.select("doc_id", *kept, F.size("words").cast("long").alias("n_words"), F.coalesce(F.filter(each, lambda m: F.size(m["starts"]) > 0), none).alias("matches"))
     hit = F.array_distinct(F.flatten(F.transform("matches", lambda m: F.flatten(F.transform(m["starts"], lambda s: F.sequence(s, s + m["span"] - 1))))))
     spread = F.flatten(F.transform("matches", lambda m: F.transform(m["starts"], lambda s: F.struct(m["item_id"].alias("item_id"), s.alias("at")))))
     counted = judged.select(
-        "doc_id", "n_words", F.size(hit).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))).alias("items"), spread.alias("offsets")
+        "doc_id", *kept, "n_words", F.size(hit).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))).alias("items"), spread.alias("offsets")
     )
     return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") / share >= F.col("n_words")))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, unchanged."""
+    return contamination(docs, benchmark, carry=True).filter("not contaminated").select("row.*")
+
+
 def near_phrases(docs: DataFrame, phrases: DataFrame, slop: int = 3) -> DataFrame:
     """Proximity matches from the same kind of index.
 
