@@ -20,6 +20,8 @@ several texts, which never remove each other's words.
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,12 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from . import _windows as win
 
 #: Text handled by one round of numpy calls.
 CHUNK_BYTES = 1 << 20
 #: Windows compared by one sort in a bucket.
 BUCKET_WINDOWS = 1 << 18
+#: Bytes of a suffix that range partitioning looks at.
+LEAD = 16
+#: Sampled leading bytes of each task, and of the corpus.
+SAMPLES, MOST_SAMPLES = 256, 1 << 16
+#: Ranges (or hash classes) of pieces in a shuffle partition; one is in memory at a time.
+DEALS = 4
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -46,6 +55,17 @@ class Unit:
     gram: int = 16
 
 
+@dataclass(frozen=True)
+class Plan:
+    """What the whole corpus tells before its windows are compared."""
+
+    unit: Unit
+    hot: np.ndarray
+    grams: int
+    deals: int
+    splitters: list[bytes]
+
+
 @dataclass
 class Chunk:
     """Runs of windows in some consecutive rows."""
@@ -56,7 +76,7 @@ class Chunk:
     key: np.ndarray  # minimiser of each run
     grams: np.ndarray
     cut: Callable[[int], bytes]  # text of a run
-    lead: Callable[[int], bytes]  # leading bytes of the run's minimiser
+    place: Callable[[int], int]  # where the run's minimiser starts, counted from its first window
 
 
 def chunks(texts: list[bytes | None], unit: Unit, hot: np.ndarray | None) -> Iterator[Chunk]:
@@ -93,45 +113,74 @@ def _chunk(texts: list[bytes | None], at: int, unit: Unit, hot: np.ndarray | Non
         a, b = first[k], first[k] + count[k] + unit.width - 2
         return b" ".join(joined[starts[a] : ends[b]].split()) if unit.kind == "word" else joined[a : b + 1]
 
-    def lead(k: int) -> bytes:
-        span = order[first[k] : first[k] + unit.width - unit.gram + 1]
-        a = first[k] + int(np.argmin(span))
-        return joined[starts[a] : ends[a + unit.gram - 1]] if unit.kind == "word" else joined[a : a + unit.gram]
+    def place(k: int) -> int:
+        return int(np.argmin(order[first[k] : first[k] + unit.width - unit.gram + 1]))
 
-    return Chunk(row + at, first - bounds[row], count, least[first] if len(first) else least[:0], grams, cut, lead)
+    return Chunk(row + at, first - bounds[row], count, least[first] if len(first) else least[:0], grams, cut, place)
 
 
 def _plain(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def sketch(docs: DataFrame, unit: Unit) -> tuple[np.ndarray, int]:
-    """Bitmap of frequent sketch cells and the number of grams in the corpus."""
+def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum the cells of each block; of the sampled leading bytes (block -1) keep those with the smallest hashes."""
+    sums: dict[int, np.ndarray] = {}
+    leads: set[bytes] = set()
+    for batch in batches:
+        for block, raw in zip(_plain(batch, "block"), _plain(batch, "cells"), strict=True):
+            if block < 0:
+                leads |= {raw[k : k + LEAD] for k in range(0, len(raw), LEAD)}
+                leads = set(sorted(leads, key=lambda x: hashlib.md5(x).digest())[:MOST_SAMPLES]) if len(leads) > 2 * MOST_SAMPLES else leads
+            else:
+                sums[block] = sums.get(block, 0) + np.frombuffer(raw, dtype=np.int64)
+    rows = [(k, v.tobytes()) for k, v in sums.items()] + ([(-1, b"".join(sorted(leads)))] if leads else [])
+    yield pa.RecordBatch.from_pydict({"block": pa.array([r[0] for r in rows], pa.int32()), "cells": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def sketch(docs: DataFrame, unit: Unit) -> Plan:
+    """Which grams are frequent, how many there are, and sampled splitters of the range of leading bytes."""
     cells, blocks = 1 << win.SKETCH_BITS, 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, dtype=np.int64)
+        total, leads = np.zeros(cells, dtype=np.int64), b""
         for batch in batches:
-            for c in chunks(_plain(batch, "body"), unit, None):
-                total += np.bincount((c.grams & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+            texts = [x or b"" for x in _plain(batch, "body")]
+            for begin in range(0, len(texts), 400):
+                joined = b"\n".join(texts[begin : begin + 400])
+                buffer = np.frombuffer(joined, dtype=np.uint8)
+                grams = win.token_grams(win.word_hashes(buffer)[2], unit.gram) if unit.kind == "word" else win.byte_grams(buffer, unit.gram)
+                total += np.bincount((grams & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+                if unit.kind == "byte" and len(leads) < SAMPLES * LEAD:
+                    leads += b"".join(joined[k : k + LEAD] for k in range(begin * 7 % 4096, len(grams) - LEAD, 1 << 14))
         if total.any():
             parts = total.reshape(blocks, -1)
-            yield pa.RecordBatch.from_pydict({"block": pa.array(range(blocks), pa.int32()), "cells": pa.array([x.tobytes() for x in parts], pa.binary())})
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, raw in zip(_plain(batch, "block"), _plain(batch, "cells"), strict=True):
-                sums[block] = sums.get(block, 0) + np.frombuffer(raw, dtype=np.int64)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "cells": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([*range(blocks), -1], pa.int32()), "cells": pa.array([*[x.tobytes() for x in parts], leads[: SAMPLES * LEAD]], pa.binary())})
 
     schema = "block int, cells binary"
-    summed = docs.select("body").mapInArrow(count, schema).repartition(8, "block").mapInArrow(add, schema)
-    total = np.zeros((blocks, cells // blocks), dtype=np.int64)
-    for row in summed.collect():  # 2 MB at any input size
-        total[row.block] += np.frombuffer(row.cells, dtype=np.int64)
+    summed = docs.select("body").mapInArrow(count, schema).repartition(8, "block").mapInArrow(_add_sketches, schema)
+    total, leads = np.zeros((blocks, cells // blocks), dtype=np.int64), []
+    for row in summed.collect():  # 2 MB and at most 2 * MOST_SAMPLES leads, at any input size
+        if row.block < 0:
+            leads = sorted(row.cells[k : k + LEAD] for k in range(0, len(row.cells), LEAD))
+        else:
+            total[row.block] += np.frombuffer(row.cells, dtype=np.int64)
     total = total.reshape(-1)
-    return total > max(win.HOT_LEAST, win.HOT_FACTOR * total.mean()), int(total.sum())
+    deals = DEALS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    splitters = [bytes(leads[k * len(leads) // deals]) for k in range(1, deals)] if leads else []
+    return Plan(unit, total > max(win.HOT_LEAST, win.HOT_FACTOR * total.mean()), int(total.sum()), deals, splitters)
+
+
+def _pack_docs(ids: np.ndarray, uids: np.ndarray) -> bytes:
+    """Document keys in a few bytes each: ids as differences, then uids."""
+    raw = np.diff(ids, prepend=0).astype(np.int64).tobytes() + uids.astype(np.int32).tobytes()
+    return len(ids).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack_docs(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(packed[:4], "little")
+    raw = pa.decompress(packed[4:], decompressed_size=12 * n, codec="zstd", asbytes=True)
+    return np.cumsum(np.frombuffer(raw, dtype=np.int64, count=n)), np.frombuffer(raw, dtype=np.int32, offset=8 * n)
 
 
 def _is_hot(key: np.ndarray) -> np.ndarray:
@@ -142,9 +191,10 @@ def _pair(row: np.ndarray, low: np.ndarray) -> np.ndarray:
     return win.mix64(low ^ (row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
-def shared_minimisers(docs: DataFrame, unit: Unit, hot: np.ndarray, grams: int) -> DataFrame:
+def shared_minimisers(docs: DataFrame, plan: Plan) -> DataFrame:
     """(doc_id, uid, lows): 48-bit hashes of each document's minimisers that other documents have too."""
-    deals = max(64, -(-grams // (1 << 24)))
+    unit, hot = plan.unit, plan.hot
+    deals = max(64, -(-plan.grams // (1 << 24)))
 
     def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,8 +207,6 @@ def shared_minimisers(docs: DataFrame, unit: Unit, hot: np.ndarray, grams: int)
             row, low = np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(lows or [np.zeros(0, np.uint64)])
             if not len(row):
                 continue
-            once = np.unique(_pair(row, low), return_index=True)[1]
-            row, low = row[once], low[once]
             deal = (low % np.uint64(deals)).astype(np.int64)
             sort = np.lexsort((row, deal))
             row, low, deal = row[sort], low[sort], deal[sort]
@@ -168,7 +216,7 @@ def shared_minimisers(docs: DataFrame, unit: Unit, hot: np.ndarray, grams: int)
                 own, local = np.unique(row[a:b], return_inverse=True)
                 out["deal"].append(int(deal[a]))
                 out["chunk"].append(int(uids[0]))
-                out["docs"].append(np.stack((ids[own], uids[own])).astype(np.int64).tobytes())
+                out["docs"].append(_pack_docs(ids[own], uids[own]))
                 out["row"].append(local.astype(np.uint16 if len(own) < 65536 else np.uint32).tobytes())
                 out["low"].append((low[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
                 out["high"].append((low[a:b] >> np.uint64(32)).astype(np.uint16).tobytes())
@@ -199,9 +247,9 @@ def shared_minimisers(docs: DataFrame, unit: Unit, hot: np.ndarray, grams: int)
                 if mask.any():
                     own, again = np.unique(local[mask], return_inverse=True)
                     rows["chunk"].append(chunk)
-                    rows["docs"].append(docs_[:, own].tobytes())
+                    rows["docs"].append(_pack_docs(docs_[0][own], docs_[1][own]))
                     rows["row"].append(again.astype(np.uint32).tobytes())
-                    rows["lows"].append(np.ascontiguousarray(low[mask].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+                    rows["lows"].append(low[mask].astype(np.uint32).tobytes())
             if rows["chunk"]:
                 yield pa.RecordBatch.from_pydict(rows, schema=settled)
 
@@ -211,8 +259,8 @@ def shared_minimisers(docs: DataFrame, unit: Unit, hot: np.ndarray, grams: int)
                     yield from flush()
                     held.clear()
                     deal = d
-                docs2 = np.frombuffer(docs_, dtype=np.int64).reshape(2, -1)
-                local = np.frombuffer(row, dtype=np.uint16 if docs2.shape[1] < 65536 else np.uint32)
+                docs2 = _unpack_docs(docs_)
+                local = np.frombuffer(row, dtype=np.uint16 if len(docs2[0]) < 65536 else np.uint32)
                 value = np.frombuffer(low, dtype=np.uint32).astype(np.uint64) | (np.frombuffer(high, dtype=np.uint16).astype(np.uint64) << np.uint64(32))
                 held.append((chunk, docs2, local, value))
         yield from flush()
@@ -223,63 +271,104 @@ def shared_minimisers(docs: DataFrame, unit: Unit, hot: np.ndarray, grams: int)
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "uid": [], "lows": []}
             for _, docs_, row, lows in zip(*(_plain(batch, x) for x in settled.names), strict=True):
-                docs2 = np.frombuffer(docs_, dtype=np.int64).reshape(2, -1)
+                own_ids, own_uids = _unpack_docs(docs_)
                 local = np.frombuffer(row, dtype=np.uint32)
-                order = np.argsort(local, kind="stable")
-                six = np.frombuffer(lows, dtype=np.uint8).reshape(-1, 6)[order]
-                ends = np.cumsum(np.bincount(local, minlength=docs2.shape[1]))
-                for k in range(docs2.shape[1]):
-                    out["doc_id"].append(int(docs2[0, k]))
-                    out["uid"].append(int(docs2[1, k]))
-                    out["lows"].append(six[ends[k - 1] if k else 0 : ends[k]].tobytes())
+                value = np.frombuffer(lows, dtype=np.uint32)[np.argsort(local, kind="stable")]
+                ends = np.cumsum(np.bincount(local, minlength=len(own_ids)))
+                out["doc_id"] += own_ids.tolist()
+                out["uid"] += own_uids.tolist()
+                out["lows"] += [value[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_pydict(out, schema=per_doc)
 
-    per_doc = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("lows", pa.binary())])
+    per_doc = pa.schema([("doc_id", pa.int64()), ("uid", pa.int32()), ("lows", pa.binary())])
     return (
         docs.select("doc_id", "uid", "body")
         .mapInArrow(note, "deal long, chunk long, docs binary, row binary, low binary, high binary")
         .repartition("deal")
         .sortWithinPartitions("deal")
         .mapInArrow(settle, "chunk long, docs binary, row binary, lows binary")
-        .mapInArrow(by_document, "doc_id long, uid long, lows binary")
+        .mapInArrow(by_document, "doc_id long, uid int, lows binary")
         .groupBy("doc_id", "uid")
         .agg(F.collect_list("lows").alias("lows"))
     )
 
 
-def pieces(docs: DataFrame, shared: DataFrame, unit: Unit, hot: np.ndarray, frequent: bool) -> DataFrame:
-    """(doc_id, uid, first, count, key, lead, piece): the packed runs whose windows may occur elsewhere."""
+PIECES = pa.schema([("deal", pa.int32()), ("docs", pa.binary()), ("row", pa.binary()), ("first", pa.binary()), ("count", pa.binary()), ("key", pa.binary()), ("texts", pa.binary())])
+
+
+def pieces(docs: DataFrame, shared: DataFrame, plan: Plan) -> DataFrame:
+    """The packed runs whose windows may occur elsewhere, in blocks by deal.
+
+    A document's 32-bit hashes say which of its runs to send. A block has the pieces that some hundred documents send to one range of leading
+    bytes (or class of minimisers): their texts compressed together, and arrays of
+    document, first window, number of windows and place or hash of the minimiser.
+    """
+    unit, byte = plan.unit, plan.unit.kind == "byte"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, uids, lists = _plain(batch, "doc_id"), _plain(batch, "uid"), _plain(batch, "lows")
-            sizes = [sum(len(y) for y in x or ()) // 6 for x in lists]
-            wide = np.zeros((sum(sizes), 8), dtype=np.uint8)
-            wide[:, :6] = np.frombuffer(b"".join(y for x in lists for y in x or ()), dtype=np.uint8).reshape(-1, 6)
-            known = np.sort(_pair(np.repeat(np.arange(len(ids)), sizes), wide.view(np.uint64).reshape(-1)))
-            for c in chunks(_plain(batch, "body"), unit, hot):
-                if frequent:
-                    take = np.flatnonzero(_is_hot(c.key))
+            ids, uids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            lists = _plain(batch, "lows")
+            sizes = [sum(len(y) for y in x) // 4 for x in lists]
+            low32 = np.frombuffer(b"".join(y for x in lists for y in x), dtype=np.uint32).astype(np.uint64)
+            known = np.sort(_pair(np.repeat(np.arange(len(lists)), sizes), low32))
+            if not len(known):
+                continue
+            rows, firsts, counts, keys, texts, deals = [], [], [], [], [], []
+            for c in chunks(_plain(batch, "body"), unit, plan.hot):
+                pair = _pair(c.rows, c.key & np.uint64(0xFFFFFFFF))
+                at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+                take = np.flatnonzero(~_is_hot(c.key) & (known[at] == pair))
+                rows.append(c.rows[take])
+                firsts.append(c.first[take])
+                counts.append(c.count[take])
+                texts += [c.cut(k) for k in take.tolist()]
+                if byte:
+                    places = [c.place(k) for k in take.tolist()]
+                    keys.append(np.array(places, dtype=np.uint8))
+                    deals += [bisect.bisect_right(plan.splitters, t[a : a + LEAD]) for t, a in zip(texts[len(texts) - len(take) :], places, strict=True)]
                 else:
-                    pair = _pair(c.rows, c.key & LOW48)
-                    at = np.searchsorted(known, pair)
-                    take = np.flatnonzero(~_is_hot(c.key) & (known[np.minimum(at, len(known) - 1)] == pair)) if len(known) else []
+                    keys.append(c.key[take])
+                    deals += (c.key[take] % np.uint64(plan.deals)).astype(np.int64).tolist()
+            row, first, count, key = (np.concatenate(x) for x in (rows, firsts, counts, keys))
+            if not len(row):
+                continue
+            deal = np.array(deals)
+            order = np.argsort(deal, kind="stable")
+            edges = np.flatnonzero(np.diff(deal[order], prepend=-1, append=-1))
+            out: dict[str, list] = {n: [] for n in PIECES.names}
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                mine = order[a:b]
+                own, local = np.unique(row[mine], return_inverse=True)
+                out["deal"].append(int(deal[mine[0]]))
+                out["docs"].append(_pack_docs(ids[own], uids[own]))
+                out["row"].append(local.astype(np.uint32 if len(own) > 65535 else np.uint16).tobytes())
+                out["first"].append(first[mine].astype(np.uint32).tobytes())
+                out["count"].append(count[mine].astype(np.uint8).tobytes())
+                out["key"].append(key[mine].tobytes())
+                joined = b"\n".join(texts[k] for k in mine.tolist())
+                out["texts"].append(len(joined).to_bytes(8, "little") + pa.compress(joined, codec="zstd", asbytes=True))
+            yield pa.RecordBatch.from_pydict(out, schema=PIECES)
+
+    joined = docs.join(shared, ["doc_id", "uid"]).select("doc_id", "uid", "body", "lows")
+    return joined.mapInArrow(pack, "deal int, docs binary, row binary, first binary, count binary, key binary, texts binary")
+
+
+def frequent_pieces(docs: DataFrame, plan: Plan) -> DataFrame:
+    """(doc_id, uid, first, count, key, piece): the packed runs in which every gram is frequent."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, uids = _plain(batch, "doc_id"), _plain(batch, "uid")
+            for c in chunks(_plain(batch, "body"), plan.unit, plan.hot):
+                take = np.flatnonzero(_is_hot(c.key))
                 if len(take):
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "doc_id": [ids[r] for r in c.rows[take]], "uid": [uids[r] for r in c.rows[take]], "first": c.first[take], "count": c.count[take].astype(np.int32),
-                            "key": c.key[take].astype(np.int64), "lead": [c.lead(k) for k in take] if unit.kind == "byte" else [None] * len(take), "piece": [c.cut(k) for k in take],
-                        },
-                        schema=packed,
-                    )
-
-    packed = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("first", pa.int64()), ("count", pa.int32()), ("key", pa.int64()), ("lead", pa.binary()), ("piece", pa.binary())])
-    how = "left" if frequent else "inner"
-    if frequent:
-        joined = docs.select("doc_id", "uid", "body").withColumn("lows", F.lit(None).cast("array<binary>"))
-    else:
-        joined = docs.join(shared, ["doc_id", "uid"], how).select("doc_id", "uid", "body", "lows")
-    return joined.mapInArrow(pack, "doc_id long, uid long, first long, count int, key long, lead binary, piece binary")
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": [ids[r] for r in c.rows[take]], "uid": pa.array([uids[r] for r in c.rows[take]], pa.int32()), "first": c.first[take], "count": c.count[take].astype(np.int32),
+                        "key": c.key[take].astype(np.int64), "piece": pa.array([c.cut(k) for k in take], pa.binary()),
+                    })
+
+    return docs.select("doc_id", "uid", "body").mapInArrow(pack, "doc_id long, uid int, first long, count int, key long, piece binary")
 
 
 def multikey_order(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -350,11 +439,6 @@ def earliest(groups: list[tuple[list[bytes], list[int]]], unit: Unit) -> list[li
     return out
 
 
-def _spans(mask: np.ndarray) -> Iterator[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
-    return zip(edge[0::2].tolist(), (edge[1::2] - edge[0::2]).tolist(), strict=True)
-
-
 def _compare(unit: Unit, answer: Callable) -> Callable:
     """A mapInArrow function over rows sorted by key; ``answer`` turns (rows of a bucket, texts, mins) into output rows."""
 
@@ -406,44 +490,115 @@ def _compare(unit: Unit, answer: Callable) -> Callable:
     return run
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The blocks of one deal at a time."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(_plain(batch, n) for n in PIECES.names), strict=True):
+            if held and held[-1][0] != row[0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _compare_deal(blocks: list[tuple], unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_id, uid, first, count) of the windows in these blocks that start in an earlier document."""
+    byte = unit.kind == "byte"
+    docs, uids, firsts, counts, keys, texts = [], [], [], [], [], []
+    for _, who, row, first, count, key, packed in blocks:
+        who2 = _unpack_docs(who)
+        local = np.frombuffer(row, dtype=np.uint32 if len(who2[0]) > 65535 else np.uint16)
+        docs.append(who2[0][local])
+        uids.append(who2[1][local])
+        firsts.append(np.frombuffer(first, dtype=np.uint32).astype(np.int64))
+        count_ = np.frombuffer(count, dtype=np.uint8).astype(np.int64)
+        counts.append(count_)
+        keys.append(np.frombuffer(key, dtype=np.uint8 if byte else np.uint64))
+        joined = pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+        if byte:
+            ends = np.cumsum(count_ + unit.width) - 1
+            texts += [joined[a:b] for a, b in zip((ends - count_ - unit.width + 1).tolist(), ends.tolist(), strict=True)]
+        else:
+            texts += joined.split(b"\n")
+    doc, uid, first, count, key = (np.concatenate(x) for x in (docs, uids, firsts, counts, keys))
+    index: dict[bytes, int] = {}
+    which = np.fromiter((index.setdefault(t, len(index)) for t in texts), dtype=np.int64, count=len(texts))
+    distinct = list(index)
+    least = np.full(len(distinct), np.iinfo(np.int64).max)
+    most = np.full(len(distinct), np.iinfo(np.int64).min)
+    np.minimum.at(least, which, doc)
+    np.maximum.at(most, which, doc)
+    # Texts with different minimisers have no window in common.
+    any_row = np.empty(len(distinct), dtype=np.int64)
+    any_row[which] = np.arange(len(which))
+    if byte:
+        places = key[any_row].tolist()
+        group_of: dict = {}
+        group = np.fromiter((group_of.setdefault(t[a : a + LEAD], len(group_of)) for t, a in zip(distinct, places, strict=True)), dtype=np.int64, count=len(distinct))
+    else:
+        group = np.unique(key[any_row], return_inverse=True)[1]
+    several = np.bincount(group)[group] > 1
+    whole = ~several[which] & (least[which] < doc)
+    out = [(doc[whole], uid[whole], first[whole], count[whole])]
+    members = np.flatnonzero(several)
+    members = members[np.argsort(group[members], kind="stable")]
+    windows = count[any_row[members]]
+    # Whole groups at a time, some hundred thousand windows together.
+    cut = np.flatnonzero(np.diff(group[members], prepend=-1)) if len(members) else np.zeros(0, dtype=np.int64)
+    size = np.add.reduceat(windows, cut) if len(cut) else cut
+    part = np.cumsum(size) // BUCKET_WINDOWS
+    part_of = np.repeat(part, np.diff(np.append(cut, len(members)))) if len(cut) else cut
+    by_text = np.argsort(which, kind="stable")
+    text_at = np.searchsorted(which[by_text], np.arange(len(distinct) + 1))
+    for p in np.unique(part_of):
+        own = members[part_of == p]
+        owner, cls = (byte_classes if byte else word_classes)([distinct[k] for k in own], unit.width)
+        low = np.full(cls.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(low, cls, least[own][owner])
+        mins, base = low[cls], np.cumsum(np.bincount(owner, minlength=len(own))) - np.bincount(owner, minlength=len(own))
+        soonest = np.minimum.reduceat(mins, base)
+        live = np.flatnonzero(soonest < most[own])
+        if not len(live):
+            continue
+        rows = np.concatenate([by_text[text_at[k] : text_at[k + 1]] for k in own[live]])
+        start = np.repeat(base[live], text_at[own[live] + 1] - text_at[own[live]])
+        n = count[rows]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        gone = mins[np.repeat(start, n) + inner] < np.repeat(doc[rows], n)
+        edge = np.zeros(len(gone) + 1, dtype=bool)
+        edge[np.cumsum(n)] = edge[0] = True
+        before = np.concatenate(([False], gone[:-1]))
+        begin = np.flatnonzero(gone & (edge[:-1] | ~before))
+        after = np.concatenate((gone[1:], [False]))
+        end = np.flatnonzero(gone & (edge[1:] | ~after))
+        row = np.repeat(rows, n)[begin]
+        out.append((doc[row], uid[row], first[row] + inner[begin], end - begin + 1))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def removed_windows(docs: DataFrame, unit: Unit) -> DataFrame:
     """(doc_id, uid, first, count): windows of a document that also start in one with a smaller doc_id.
 
-    ``docs`` has doc_id, uid and body; uid tells rows with the same doc_id apart.
+    ``docs`` has doc_id (not null), uid and body; uid tells rows with the same doc_id apart.
     """
-    hot, grams = sketch(docs, unit)
-    shared = shared_minimisers(docs, unit, hot, grams)
-    rare = pieces(docs, shared, unit, hot, frequent=False)
-
-    def spans(rows: list[tuple], mins: dict[bytes, np.ndarray]) -> list[tuple]:
-        found = []
-        for doc, _, uid, first, count, text in rows:
-            least = mins[text]
-            if len(least) == 1:
-                if least[0] < doc:
-                    found.append((doc, uid, first, count))
-            else:
-                found += [(doc, uid, first + a, n) for a, n in _spans(least < doc)]
-        return found
-
-    schema = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("first", pa.int64()), ("count", pa.int32())])
+    plan = sketch(docs, unit)
+    partitions = plan.deals // DEALS
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in _compare(unit, spans)(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+        for blocks in _held(batches):
+            doc, uid, first, count = _compare_deal(blocks, unit)
+            yield pa.RecordBatch.from_pydict({"doc_id": doc, "uid": uid.astype(np.int32), "first": first, "count": count.astype(np.int32)})
 
-    if unit.kind == "byte":
-        # Splitters are sampled; rows with equal leading bytes stay in one range.
-        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rare.repartitionByRange(n, "lead").sortWithinPartitions("lead", "key")
-    else:
-        dealt = rare.repartition("key").sortWithinPartitions("key")
-    result = dealt.select("doc_id", "key", "uid", "first", "count", "piece").mapInArrow(compare, "doc_id long, uid long, first long, count int")
-    return result.unionByName(_frequent_windows(docs, shared, unit, hot))
+    dealt = pieces(docs, shared_minimisers(docs, plan), plan)
+    dealt = dealt.repartitionById(partitions, (F.col("deal") / DEALS).cast("int")).sortWithinPartitions("deal")
+    rare = dealt.mapInArrow(compare, "doc_id long, uid int, first long, count int")
+    return rare.unionByName(_frequent_windows(docs, plan))
 
 
-def _frequent_windows(docs: DataFrame, shared: DataFrame, unit: Unit, hot: np.ndarray) -> DataFrame:
-    often = pieces(docs, shared, unit, hot, frequent=True)
+def _frequent_windows(docs: DataFrame, plan: Plan) -> DataFrame:
+    unit, often = plan.unit, materialize(frequent_pieces(docs, plan), "frequent")
     distinct = often.groupBy("key", "piece").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
 
     def mins(rows: list[tuple], found: dict[bytes, np.ndarray]) -> list[tuple]:
@@ -497,10 +652,21 @@ def covered(spans: list[dict] | None, width: int, n: int) -> np.ndarray:
 
 
 def with_body(docs: DataFrame) -> DataFrame:
-    """doc_id, uid and the UTF-8 body of every row (an empty body for null)."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("uid"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("body")
-    )
+    """doc_id, uid and the UTF-8 body of every row (an empty body for null).
+
+    uid is a 32-bit hash of the text. It only has to tell rows with one doc_id apart.
+    """
+    # A plain column, not an alias of it, lets both joins below read one exchange.
+    named = docs if dict(docs.dtypes)["doc_id"] == "bigint" else docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return named.select("doc_id", F.hash("text").alias("uid"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("body"))
+
+
+def with_spans(base: DataFrame, unit: Unit) -> DataFrame:
+    """doc_id, body and spans of every row; rows without doc_id have none."""
+    named = base.filter("doc_id is not null")
+    windows = merged_spans(removed_windows(named, unit))
+    found = named.join(windows, ["doc_id", "uid"], "left").select("doc_id", "body", "spans")
+    return found.unionByName(base.filter("doc_id is null").select("doc_id", "body", F.lit(None).cast(found.schema["spans"].dataType).alias("spans")))
 
 
 def small_batches(docs: DataFrame) -> None:

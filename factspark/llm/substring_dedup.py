@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,6 @@ def dedup_words(docs: DataFrame, width: int = 50) -> DataFrame:
     unit = seg.Unit("word", width, min(16, width))
     seg.small_batches(docs)
     base = seg.with_body(docs)
-    windows = seg.merged_spans(seg.removed_windows(base.filter("doc_id is not null"), unit))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,8 +46,7 @@ def dedup_words(docs: DataFrame, width: int = 50) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
-    result = base.join(windows, ["doc_id", "uid"], "left").select("doc_id", "body", "spans")
-    return result.mapInArrow(finish, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept binary").withColumn("kept", F.col("kept").cast("string"))
+    return seg.with_spans(base, unit).mapInArrow(finish, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept binary").withColumn("kept", F.col("kept").cast("string"))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

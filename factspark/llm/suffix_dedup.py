@@ -31,7 +31,6 @@ def dedup_bytes(docs: DataFrame, width: int = 50) -> DataFrame:
     unit = seg.Unit("byte", width, 16)
     seg.small_batches(docs)
     base = seg.with_body(docs)
-    windows = seg.merged_spans(seg.removed_windows(base.filter("doc_id is not null"), unit))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,8 +52,7 @@ def dedup_bytes(docs: DataFrame, width: int = 50) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
-    result = base.join(windows, ["doc_id", "uid"], "left").select("doc_id", "body", "spans")
-    return result.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
+    return seg.with_spans(base, unit).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
