@@ -9,9 +9,10 @@ The common part of word-window and byte-string deduplication:
    only are dropped there, as no window can match without its minimiser.
 3. Runs that are left travel as one packed piece of text to their bucket, where
    their windows are sorted and compared exactly.
-4. Pieces whose grams are all frequent (the inside of a common passage) are first
-   reduced to distinct texts with their smallest document, compared in the same
-   way and joined back, so a passage in a third of all documents is compared once.
+4. Stretches whose grams are all frequent (the inside of a common passage) are
+   first reduced to distinct texts with their smallest document, cut up, compared in
+   the same way and joined back, so a passage in a third of all documents is compared
+   once.
 
 The result is exact: hashes only choose the bucket. Rows without a doc_id or with
 a null text have no windows. Rows that repeat a doc_id count as one document with
@@ -75,7 +76,8 @@ class Chunk:
     count: np.ndarray  # windows in each run
     key: np.ndarray  # minimiser of each run
     grams: np.ndarray
-    cut: Callable[[int], bytes]  # text of a run
+    at: np.ndarray  # first window of each run, counted within the chunk
+    cut: Callable[[int, int], bytes]  # text of some windows: first (within the chunk) and count
     place: Callable[[int], int]  # where the run's minimiser starts, counted from its first window
 
 
@@ -109,14 +111,14 @@ def _chunk(texts: list[bytes | None], at: int, unit: Unit, hot: np.ndarray | Non
     good = count > 0
     first, count, row = first[good], count[good], row[good]
 
-    def cut(k: int) -> bytes:
-        a, b = first[k], first[k] + count[k] + unit.width - 2
+    def cut(a: int, n: int) -> bytes:
+        b = a + n + unit.width - 2
         return b" ".join(joined[starts[a] : ends[b]].split()) if unit.kind == "word" else joined[a : b + 1]
 
     def place(k: int) -> int:
         return int(np.argmin(order[first[k] : first[k] + unit.width - unit.gram + 1]))
 
-    return Chunk(row + at, first - bounds[row], count, least[first] if len(first) else least[:0], grams, cut, place)
+    return Chunk(row + at, first - bounds[row], count, least[first] if len(first) else least[:0], grams, first, cut, place)
 
 
 def _plain(batch: pa.RecordBatch, name: str) -> list:
@@ -322,7 +324,7 @@ def pieces(docs: DataFrame, shared: DataFrame, plan: Plan) -> DataFrame:
                 rows.append(c.rows[take])
                 firsts.append(c.first[take])
                 counts.append(c.count[take])
-                texts += [c.cut(k) for k in take.tolist()]
+                texts += [c.cut(a, n) for a, n in zip(c.at[take].tolist(), c.count[take].tolist(), strict=True)]
                 if byte:
                     places = [c.place(k) for k in take.tolist()]
                     keys.append(np.array(places, dtype=np.uint8))
@@ -354,21 +356,35 @@ def pieces(docs: DataFrame, shared: DataFrame, plan: Plan) -> DataFrame:
     return joined.mapInArrow(pack, "deal int, docs binary, row binary, first binary, count binary, key binary, texts binary")
 
 
-def frequent_pieces(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(doc_id, uid, first, count, key, piece): the packed runs in which every gram is frequent."""
+#: Windows in one stretch of frequent grams, at most.
+LONGEST_STRETCH = 4096
+
+
+def frequent_stretches(docs: DataFrame, plan: Plan) -> DataFrame:
+    """(doc_id, uid, first, text, name): the longest stretches of windows in which every gram is frequent."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, uids = _plain(batch, "doc_id"), _plain(batch, "uid")
             for c in chunks(_plain(batch, "body"), plan.unit, plan.hot):
                 take = np.flatnonzero(_is_hot(c.key))
-                if len(take):
-                    yield pa.RecordBatch.from_pydict({
-                        "doc_id": [ids[r] for r in c.rows[take]], "uid": pa.array([uids[r] for r in c.rows[take]], pa.int32()), "first": c.first[take], "count": c.count[take].astype(np.int32),
-                        "key": c.key[take].astype(np.int64), "piece": pa.array([c.cut(k) for k in take], pa.binary()),
-                    })
-
-    return docs.select("doc_id", "uid", "body").mapInArrow(pack, "doc_id long, uid int, first long, count int, key long, piece binary")
+                if not len(take):
+                    continue
+                row, at, count = c.rows[take], c.at[take], c.count[take]
+                new = np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + count[:-1])))
+                # Long stretches are cut at fixed distances from their start.
+                start = np.flatnonzero(new)
+                group = np.cumsum(new) - 1
+                new |= (at - at[start][group]) // LONGEST_STRETCH != np.concatenate(([0], (at - at[start][group])[:-1] // LONGEST_STRETCH))
+                start = np.flatnonzero(new)
+                total = np.add.reduceat(count, start)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": [ids[r] for r in row[start]], "uid": pa.array([uids[r] for r in row[start]], pa.int32()), "first": c.first[take][start],
+                    "text": pa.array([c.cut(a, n) for a, n in zip(at[start].tolist(), total.tolist(), strict=True)], pa.binary()),
+                })
+
+    found = docs.select("doc_id", "uid", "body").mapInArrow(pack, "doc_id long, uid int, first long, text binary")
+    return found.withColumn("name", F.sha2("text", 256))
 
 
 def multikey_order(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -579,7 +595,7 @@ def _compare_deal(blocks: list[tuple], unit: Unit) -> tuple[np.ndarray, np.ndarr
 
 
 def removed_windows(docs: DataFrame, unit: Unit) -> DataFrame:
-    """(doc_id, uid, first, count): windows of a document that also start in one with a smaller doc_id.
+    """(doc_id, uid, spans), each span a first and a count: windows of a document that also start in one with a smaller doc_id.
 
     ``docs`` has doc_id (not null), uid and body; uid tells rows with the same doc_id apart.
     """
@@ -594,52 +610,54 @@ def removed_windows(docs: DataFrame, unit: Unit) -> DataFrame:
     dealt = pieces(docs, shared_minimisers(docs, plan), plan)
     dealt = dealt.repartitionById(partitions, (F.col("deal") / DEALS).cast("int")).sortWithinPartitions("deal")
     rare = dealt.mapInArrow(compare, "doc_id long, uid int, first long, count int")
-    return rare.unionByName(_frequent_windows(docs, plan))
+    return rare.select("doc_id", "uid", F.array(F.struct("first", "count")).alias("spans")).unionByName(_frequent_windows(docs, plan))
 
 
 def _frequent_windows(docs: DataFrame, plan: Plan) -> DataFrame:
-    unit, often = plan.unit, materialize(frequent_pieces(docs, plan), "frequent")
-    distinct = often.groupBy("key", "piece").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
+    """The same of stretches of frequent grams: distinct texts are cut up and compared, and joined back whole."""
+    unit, often = plan.unit, materialize(frequent_stretches(docs, plan), "frequent")
+    distinct = often.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.min("text").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, ids, lasts = (_plain(batch, n) for n in ("name", "doc_id", "last"))
+            for c in chunks(_plain(batch, "text"), unit, plan.hot):
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": [ids[r] for r in c.rows], "key": c.key.astype(np.int64), "last": [lasts[r] for r in c.rows], "name": [names[r] for r in c.rows], "at": c.first,
+                    "count": c.count.astype(np.int32), "piece": pa.array([c.cut(a, n) for a, n in zip(c.at.tolist(), c.count.tolist(), strict=True)], pa.binary()),
+                }, schema=cut_schema)
+
+    cut_schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("last", pa.int64()), ("name", pa.string()), ("at", pa.int64()), ("count", pa.int32()), ("piece", pa.binary())])
 
     def mins(rows: list[tuple], found: dict[bytes, np.ndarray]) -> list[tuple]:
         out = []
-        for doc, key, last, text in rows:
+        for _, _, last, name, at, count, text in rows:
             least = found[text]
             if len(least) == 1:
                 if least[0] < last:
-                    out.append((key, text, [(0, None, int(least[0]))]))
+                    out.append((name, at, count, int(least[0])))
                 continue
             edges = np.flatnonzero(np.diff(least, prepend=least[0] - 1, append=least[-1] - 1))
-            spans = [(int(a), int(b - a), int(least[a])) for a, b in zip(edges[:-1], edges[1:], strict=True) if least[a] < last]
-            if spans:
-                out.append((key, text, spans))
+            out += [(name, at + int(a), int(b - a), int(least[a])) for a, b in zip(edges[:-1], edges[1:], strict=True) if least[a] < last]
         return out
 
-    span = pa.struct([("at", pa.int64()), ("n", pa.int32()), ("least", pa.int64())])
-    schema = pa.schema([("key", pa.int64()), ("piece", pa.binary()), ("spans", pa.list_(span))])
+    schema = pa.schema([("name", pa.string()), ("at", pa.int64()), ("n", pa.int32()), ("least", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in _compare(unit, mins)(batches):
-            keys, texts, spans = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(texts, pa.binary()), pa.array([[{"at": a, "n": n, "least": d} for a, n, d in x] for x in spans], schema.types[2])], schema=schema
-            )
-
-    solved = (
-        distinct.repartition("key").sortWithinPartitions("key").select("doc_id", "key", "last", "piece")
-        .mapInArrow(compare, "key long, piece binary, spans array<struct<at:long,n:int,least:long>>")
-    )
-    return (
-        often.join(solved, ["key", "piece"])
-        .select("doc_id", "uid", "first", "count", F.explode("spans").alias("span"))
-        .filter(F.col("span.least") < F.col("doc_id"))
-        .select("doc_id", "uid", (F.col("first") + F.col("span.at")).alias("first"), F.coalesce("span.n", "count").alias("count"))
-    )
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+    parts = distinct.mapInArrow(cut, "doc_id long, key long, last long, name string, at long, count int, piece binary")
+    solved = parts.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "name string, at long, n int, least long")
+    by_name = solved.groupBy("name").agg(F.collect_list(F.struct("at", "n", "least")).alias("found"))
+    earlier = F.filter("found", lambda s: s["least"] < F.col("doc_id"))
+    spans = F.transform(earlier, lambda s: F.struct((F.col("first") + s["at"]).alias("first"), s["n"].alias("count")))
+    return often.join(by_name, "name").select("doc_id", "uid", spans.alias("spans")).filter(F.size("spans") > 0)
 
 
 def merged_spans(windows: DataFrame) -> DataFrame:
     """(doc_id, uid, spans): the windows of each document in one list."""
-    return windows.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
+    return windows.groupBy("doc_id", "uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def covered(spans: list[dict] | None, width: int, n: int) -> np.ndarray:
