@@ -14,13 +14,17 @@ from pyspark.sql import types as T
 from ._linear import fit_softmax
 
 #: Lengths of the n-grams, in UTF-8 bytes of the lower-cased text.
-LENGTHS = (4, 5, 6)
+LENGTHS = (4, 6, 8)
+#: An n-gram that occurs at least so often in a text is a feature of its own.
+OFTEN = (2, 4)
 #: Cells that n-grams are hashed to, and n-grams that the model keeps.
-HASH_BITS, FEATURES = 20, 1 << 14
+HASH_BITS, FEATURES = 20, 1 << 12
+#: Log-count ratio, in size, that the model keeps an n-gram for.
+LEAST_RATIO = 1.5
 #: Labelled rows that the model is fitted on, at most.
 TRAIN_ROWS = 30_000
 #: Labelled rows that must have an n-gram for the model to keep it.
-LEAST_ROWS = 4
+LEAST_ROWS = 3
 #: Text handled by one round of numpy calls.
 CHUNK_BYTES = 1 << 18
 _SPACED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -38,12 +42,19 @@ def _normal(text: str | None) -> bytes:
     return b" " + b" ".join((text or "").lower().encode("utf-8", "replace").translate(_SPACED).split()) + b" "
 
 
+def _often(cell: np.ndarray, times: int) -> np.ndarray:
+    """The cell of "this n-gram occurs at least so often"."""
+    return (cell * 0x2545F491 + times * 0x9E3779B1 >> 5) & ((1 << HASH_BITS) - 1)
+
+
 def _present(texts: list[str | None], known: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, row, cell) of distinct n-grams present in some consecutive rows; of ``known`` cells only, if given."""
-    flags = None
+    flags = kept = None
     if known is not None:
-        flags = np.zeros(1 << HASH_BITS, dtype=bool)
-        flags[known] = True
+        kept = np.zeros(1 << HASH_BITS, dtype=bool)
+        kept[known] = True
+        every = np.arange(1 << HASH_BITS)
+        flags = kept | np.logical_or.reduce([kept[_often(every, times)] for times in OFTEN])
     begin = 0
     while begin < len(texts):
         parts, size, end = [], 0, begin
@@ -60,8 +71,12 @@ def _present(texts: list[str | None], known: np.ndarray | None) -> Iterator[tupl
             at = np.flatnonzero(flags[cell]) if flags is not None else np.arange(len(cell))
             row = np.searchsorted(ends, at, side="right")
             inside = at + n <= ends[row]
-            found.append(np.unique(row[inside].astype(np.int64) << HASH_BITS | cell[at[inside]]))
-        pairs = np.unique(np.concatenate(found))
+            found.append(row[inside].astype(np.int64) << HASH_BITS | cell[at[inside]])
+        pairs, count = np.unique(np.concatenate(found), return_counts=True)
+        again = [pairs[count >= times] for times in OFTEN]
+        pairs = np.unique(np.concatenate([pairs, *[(p >> HASH_BITS << HASH_BITS) | _often(p & ((1 << HASH_BITS) - 1), times) for p, times in zip(again, OFTEN, strict=True)]]))
+        if kept is not None:
+            pairs = pairs[kept[pairs & ((1 << HASH_BITS) - 1)]]
         yield begin, pairs >> HASH_BITS, pairs & ((1 << HASH_BITS) - 1)
         begin = end
 
@@ -99,7 +114,7 @@ def _counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     return total[0], total[1], int(rows[0]), int(rows[1])
 
 
-def train(labelled: DataFrame, most_rows: int = TRAIN_ROWS, smoothing: float = 0.5, l2: float = 2e-4) -> Model:
+def train(labelled: DataFrame, most_rows: int = TRAIN_ROWS, smoothing: float = 0.5, l2: float = 5e-3) -> Model:
     """Fit the classifier on (doc_id, text, toxic).
 
     At most about ``most_rows`` rows are used, chosen by a hash of doc_id. Each n-gram's
@@ -119,7 +134,7 @@ def train(labelled: DataFrame, most_rows: int = TRAIN_ROWS, smoothing: float = 0
         share = (n_toxic + 0.5) / (n_clean + n_toxic + 1) if n_clean + n_toxic else 0.25
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))))
     ratio = np.log((toxic + smoothing) / (n_toxic + 2 * smoothing)) - np.log((clean + smoothing) / (n_clean + 2 * smoothing))
-    weight = np.where(toxic + clean >= LEAST_ROWS, np.abs(ratio) * np.sqrt(toxic + clean), 0)
+    weight = np.where((toxic + clean >= LEAST_ROWS) & (np.abs(ratio) >= LEAST_RATIO), np.abs(ratio) * np.sqrt(toxic + clean), 0)
     cells = np.sort(np.argsort(-weight, kind="stable")[:FEATURES])
     cells = cells[weight[cells] > 0]
 
