@@ -33,9 +33,3 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a materialized DataFrame that nothing reads any more."""
-    for name in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
