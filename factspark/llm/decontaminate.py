@@ -103,9 +103,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     hit = F.array_distinct(F.flatten(F.transform("matches", lambda m: F.flatten(F.transform(m["starts"], lambda s: F.sequence(s, s + m["span"] - 1))))))
     spread = F.flatten(F.transform("matches", lambda m: F.transform(m["starts"], lambda s: F.struct(m["item_id"].alias("item_id"), s.alias("at")))))
     counted = judged.select(
-        "doc_id", *kept, "n_words", F.size(hit).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))).alias("items"), spread.alias("offsets")
+        "doc_id", *kept, "n_words", F.size(hit).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))).alias("items"), spread.alias("offsets"),
+        F.spark_partition_id().alias("_here"),
     )
-    return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") / share >= F.col("n_words")))
+    judged = counted.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") / share >= F.col("n_words")))
+    # A filter on the result must not be pushed below, where words would be split anew for every comparison.
+    return judged.filter("_here >= 0").drop("_here")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
