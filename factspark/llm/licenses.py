@@ -98,9 +98,10 @@ class Page:
     segment: np.ndarray  # of each distinct n-gram
     cell: np.ndarray
     word: callable  # the bytes of word k
+    marked: np.ndarray  # segments with a shingle of a template
 
 
-def _page(texts: list[str | None], known: np.ndarray | None) -> Page:
+def _page(texts: list[str | None], known: np.ndarray | None, marks: dict[int, np.ndarray] | None = None) -> Page:
     parts = [(x or "").encode("utf-8", "replace").lower().translate(_SPACED) for x in texts]
     joined = b"\n\n".join(parts) + b"\n"
     buffer = np.frombuffer(joined, dtype=np.uint8)
@@ -135,11 +136,76 @@ def _page(texts: list[str | None], known: np.ndarray | None) -> Page:
         found.append((n_lines + block_of[a[same]]) << HASH_BITS | cell[at[same]])
         same = a == b
         found.append(line_no[a[same]] << HASH_BITS | cell[at[same]])
+    marked = [np.zeros(0, dtype=np.int64)]
+    for n, hashes in (marks or {}).items():
+        at = np.flatnonzero(np.isin(token_grams(tokens, n), hashes)) if len(tokens) >= n else np.zeros(0, dtype=np.int64)
+        a, b = line[at], line[at + n - 1]
+        marked += [line_no[a[a == b]], n_lines + block_of[a[block_of[a] == block_of[b]]]]
     pairs = np.unique(np.concatenate(found)) if len(used) else np.zeros(0, dtype=np.int64)
     row = np.concatenate((row_of_line[used], row_of_line[used[head]])) if n_lines else used
     spans = np.stack((np.concatenate((used, used[head])), np.concatenate((used, used[tail])))) - first_line[row] if n_lines else np.zeros((2, 0), int)
     words = np.stack((np.concatenate((cut, cut[head])), np.concatenate((stop, stop[tail])))) if n_lines else np.zeros((2, 0), int)
-    return Page(row, spans.T, words.T, pairs >> HASH_BITS, pairs & ((1 << HASH_BITS) - 1), lambda k: joined[starts[k] : ends[k]])
+    return Page(row, spans.T, words.T, pairs >> HASH_BITS, pairs & ((1 << HASH_BITS) - 1), lambda k: joined[starts[k] : ends[k]], np.unique(np.concatenate(marked)))
+
+
+def _size(template: frozenset) -> int:
+    return min(5, min(len(s) for s in template))
+
+
+def _marks(model: Model) -> dict[int, np.ndarray]:
+    """Hashes of all templates' shingles, by their number of words."""
+    found: dict[int, list] = {}
+    for t in (t for ts in model.templates.values() for t in ts):
+        for s in t:
+            n = _size(t)
+            _, _, tokens = word_hashes(np.frombuffer(b" ".join(s) + b"\n", dtype=np.uint8))
+            found.setdefault(n, []).append(token_grams(tokens, n))
+    return {n: np.unique(np.concatenate(x)) for n, x in found.items()}
+
+
+def _notices(words: list[bytes], templates: dict[str, list[frozenset]], cover: float) -> list[tuple[str, float, int, int]]:
+    """(family, coverage, first and last + 1 word) of every family that the words declare.
+
+    A template's place is the shortest stretch with all of its shingles that occur.
+    The best covered family takes the words of its place; others, whose templates may
+    share phrases with it, need enough shingles that are not wholly within taken words.
+    """
+    taken: set[int] = set()
+    out = []
+    left = {f: ts for f, ts in templates.items() if coverage(words, ts) >= cover}
+    while left:
+        best = (0.0, 0, "", 0, 0)
+        for family, ts in left.items():
+            for t in ts:
+                n = _size(t)
+                hits = [(i, s) for i in range(len(words) - n + 1) if (s := tuple(words[i : i + n])) in t and not taken.issuperset(range(i, i + n))]
+                want = len({s for _, s in hits})
+                counts: dict[tuple, int] = {}
+                place, low = None, 0
+                for i, s in hits:
+                    counts[s] = counts.get(s, 0) + 1
+                    while len(counts) == want:
+                        first, gone = hits[low]
+                        if place is None or i + n - first < place[1] - place[0]:
+                            place = (first, i + n)
+                        counts[gone] -= 1
+                        if not counts[gone]:
+                            del counts[gone]
+                        low += 1
+                if place:
+                    best = max(best, (want / len(t), len(t), family, *place))
+        share, _, family, first, last = best
+        if share < cover:
+            break
+        out.append((family, share, first, last))
+        taken.update(range(first, last))
+        del left[family]
+    return out
+
+
+def _odds(z: np.ndarray, family: int) -> float:
+    """The probability of a family against the unknown class alone."""
+    return float(1 / (1 + np.exp(np.clip(z[0] - z[family], -700, 700))))
 
 
 def _logits(page: Page, model: Model) -> np.ndarray:
@@ -205,25 +271,28 @@ def train(docs: DataFrame, most_rows: int = UNKNOWN_ROWS, seed: int = 1) -> Mode
 def scan_texts(texts: list[str | None], model: Model, least: float, cover: float) -> list[list[dict]]:
     """Of each text its confirmed licence notices."""
     out: list[list[dict]] = [[] for _ in texts]
+    marks = _marks(model)
     begin = 0
     while begin < len(texts):
         end, size = begin, 0
         while end < len(texts) and (end == begin or size < CHUNK_BYTES):
             size += len(texts[end] or "")
             end += 1
-        page = _page(texts[begin:end], model.cells)
-        if len(page.row) and len(page.segment):
-            some = np.unique(page.segment)
-            p = softmax(_logits(page, model)[some])
-            best = p.argmax(axis=1)
-            for k in np.flatnonzero((best > 0) & (p[np.arange(len(p)), best] >= least)):
-                s, family = some[k], model.families[best[k]]
-                words = [page.word(i) for i in range(*page.words[s])]
-                share = coverage(words, model.templates[family])
-                found = out[begin + page.row[s]]
-                first, last = (int(x) for x in page.lines[s])
-                if share >= cover and not any(f["family"] == family and first <= f["first_line"] and f["last_line"] <= last for f in found):
-                    found.append({"family": family, "probability": float(p[k, best[k]]), "coverage": share, "first_line": first, "last_line": last})
+        page = _page(texts[begin:end], model.cells, marks)
+        z = _logits(page, model) if len(page.marked) else None
+        for s in page.marked:
+            words = [page.word(i) for i in range(*page.words[s])]
+            found = out[begin + page.row[s]]
+            first, last = (int(x) for x in page.lines[s])
+            for family, share, low, high in _notices(words, model.templates, cover):
+                if any(f["family"] == family and first <= f["first_line"] and f["last_line"] <= last for f in found):
+                    continue
+                # Of the place itself too: in a long paragraph other words outweigh it.
+                place = _page([b" ".join(words[low:high]).decode("utf-8", "replace")], model.cells)
+                c = model.families.index(family)
+                p = max(_odds(z[s], c), _odds(_logits(place, model)[0], c))
+                if p >= least:
+                    found.append({"family": family, "probability": p, "coverage": share, "first_line": first, "last_line": last})
         begin = end
     return out
 
@@ -231,10 +300,11 @@ def scan_texts(texts: list[str | None], model: Model, least: float, cover: float
 def scan(docs: DataFrame, model: Model, least: float = 0.5, cover: float = 0.8) -> DataFrame:
     """(doc_id, licences): the licence notices in every whole text, a row for each input row.
 
-    Lines, and blocks of lines between blank ones, are classified by the words,
-    word pairs and word triples in them. One that is likeliest of a family, at ``least``
-    probability or more, is confirmed if it contains ``cover`` of the five-word shingles of
-    one of the family's templates. Each notice has family, probability, coverage,
+    Lines, and blocks of lines between blank ones, are compared with the templates of
+    every family: one is declared if the words contain ``cover`` of the five-word shingles
+    of one of its templates and the classifier, by the words, word pairs and word triples
+    in the line or block or in the template's place in it, gives it a probability of
+    ``least`` or more against the unknown class. So a line may hold several notices. Each notice has family, probability, coverage,
     first_line and last_line; of a block and a line of one family the line is
     reported. Null and empty texts have none. Other columns are ignored.
     """
