@@ -3,8 +3,9 @@
 An archive is text whose rows are WARC records and whose row separator is the
 blank line that ends a record. A payload longer than a chunk becomes several rows:
 the record and its numbered continuation records (segments, as the format calls
-them), so neither side ever holds more of a record than a chunk. The digest is
-carried on from chunk to chunk. A payload that contains the bytes between two
+them), so the reader never holds more of a record than a chunk, and carries the digest
+on from chunk to chunk. The writer holds whole payloads, also in its join with the
+first ids. A payload that contains the bytes between two
 records is cut inside them, so the separator occurs between records only and
 Spark's line reader can split archives anywhere.
 """
