@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
+from ._joins import small
 
 #: Rounds after which something must be wrong: paths shorten by half or more each round.
 MOST_ROUNDS = 60
@@ -23,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
     ends = materialize(ends, "links")
     seen = None
     for _ in range(MOST_ROUNDS):
-        ends = materialize(_small_star(_large_star(ends)), "stars")
+        ends = materialize(_small_star(materialize(_large_star(ends), "stars")), "stars")
         # Stable when a round changes nothing; the sum of the hashes tells.
         now = ends.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == tuple(now):
@@ -38,12 +39,13 @@ def components(links: DataFrame) -> DataFrame:
 def _large_star(ends: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the node's smallest neighbour."""
     both = ends.union(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    # Written first, so that a hub's links are no single task's: the join is broadcast, or split by AQE.
+    least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
+    return both.filter("b > a").join(small(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(ends: DataFrame) -> DataFrame:
     """Link every smaller neighbour of a node, and the node, to its smallest neighbour."""
-    least = ends.groupBy("a").agg(F.min("b").alias("m"))
-    moved = ends.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = materialize(ends.groupBy("a").agg(F.min("b").alias("m")), "least")
+    moved = ends.join(small(least), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
