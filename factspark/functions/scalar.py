@@ -39,7 +39,11 @@ def less_or_equal(a: Column, b: Column) -> Column:
 
 
 def not_equal(a: Column, b: Column) -> Column:
-    return a != b
+    """Inequality; of a number and a text the text's number counts, and text without one is unequal. Null if either is."""
+    mixed = (F.typeof(a) == "string") != (F.typeof(b) == "string")
+    number = lambda x: x.cast("string").try_cast("double")
+    unlike = F.when(a.isNotNull() & b.isNotNull(), ~F.coalesce(number(a) == number(b), F.lit(False)))
+    return F.when(mixed, unlike).otherwise(a != b)
 
 
 def equal(a: Column, b: Column) -> Column:

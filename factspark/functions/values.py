@@ -39,9 +39,17 @@ def canonical(df: DataFrame, column: str) -> Column:
 
 
 def value_of(df: DataFrame, column: str) -> Column:
-    """The column as a value of a fact; booleans are the strings true and false."""
-    if dict(df.dtypes)[column] in NUMBERS:
-        return F.struct(F.col(column).cast("double").alias("n"), F.lit(None).cast("string").alias("s"))
+    """The column as a value of a fact; booleans are the strings true and false.
+
+    Whole numbers past 2**53 and decimals that no double equals keep all their digits as
+    a text, so that different numbers stay different.
+    """
+    kind, x = dict(df.dtypes)[column], F.col(column)
+    if kind == "bigint" or kind.startswith("decimal"):
+        exact = x.between(-(2**53), 2**53) if kind == "bigint" else F.coalesce(x.cast("double").try_cast(kind) == x, F.lit(False))
+        return F.struct(F.when(exact, x.cast("double")).alias("n"), F.when(~exact, x.cast("string")).alias("s"))
+    if kind in NUMBERS:
+        return F.struct(x.cast("double").alias("n"), F.lit(None).cast("string").alias("s"))
     return F.struct(F.lit(None).cast("double").alias("n"), F.col(column).cast("string").alias("s"))
 
 

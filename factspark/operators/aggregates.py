@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -74,8 +76,9 @@ def limit_to(df: DataFrame, projection: Sequence[str], n: int, *directions: str,
     order = order_by(projection, directions)
     if per:
         return df.withColumn("_place", F.dense_rank().over(Window.partitionBy(*per).orderBy(*order))).filter(F.col("_place") <= n).drop("_place")
-    first = df.select(*projection).distinct().orderBy(*order).limit(n)
-    return df.join(F.broadcast(first), list(projection), "left_semi")
+    first = df.select(*[F.col(c).alias(f"_{c}") for c in projection]).distinct().orderBy(*order_by([f"_{c}" for c in projection], directions)).limit(n)
+    # Nulls are projections like others: they come first going up.
+    return df.join(F.broadcast(first), reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in projection]), "left_semi")
 
 
 def best_per(df: DataFrame, projection: Sequence[str], *directions: str, per: Sequence[str] = ()) -> DataFrame:
@@ -83,10 +86,21 @@ def best_per(df: DataFrame, projection: Sequence[str], *directions: str, per: Se
     return limit_to(df, projection, 1, *directions, per=per)
 
 
-def custom_aggregate(df: DataFrame, per: Sequence[str], value: str, schema: str, name: str, step: Callable[[pd.Series], float]) -> DataFrame:
-    """An aggregate of one's own over the distinct values of each group, by a function of a pandas Series."""
-    def reduce(values: pd.Series) -> float:
+def custom_aggregate(df: DataFrame, per: Sequence[str], value: str, schema: str, name: str, step: Callable[[pd.Series], float], merge: Callable[[pd.Series], float] | None = None, salts: int = 8) -> DataFrame:
+    """An aggregate of one's own over the distinct values of each group, by functions of a pandas Series.
+
+    Values are first dealt to ``salts`` parts of their group by hash, so that a hot
+    group is not one task's; ``step`` sees one part, and ``merge`` (``step`` itself, if
+    not given) the results of at most ``salts`` parts. So the aggregate must be one that
+    partial results can make, as sums, products and extremes are.
+    """
+
+    def part(values: pd.Series) -> float:
         return step(values)
 
-    aggregate = F.pandas_udf(reduce, schema)
-    return df.select(*per, value).distinct().groupBy(*per).agg(aggregate(F.col(value)).alias(name))
+    def whole(values: pd.Series) -> float:
+        return (merge or step)(values)
+
+    salted = df.select(*per, value).distinct().withColumn("_part", F.pmod(F.xxhash64(value), F.lit(salts)))
+    parts = salted.groupBy(*per, "_part").agg(F.pandas_udf(part, schema)(F.col(value)).alias("_of_part"))
+    return parts.groupBy(*per).agg(F.pandas_udf(whole, schema)(F.col("_of_part")).alias(name))

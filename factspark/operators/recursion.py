@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 
+#: Rounds after which the parts found so far are written as one table.
+COMPACT = 8
+
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most_rounds: int = 1000) -> DataFrame:
     """All rows that ``seed`` and repeated steps derive, as a set.
@@ -20,12 +23,14 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame],
     """
     new = materialize(seed.distinct(), "round")
     known = new
-    for _ in range(most_rounds):
+    for k in range(most_rounds):
         found = step(new, known).select(*known.columns).distinct()
         new = materialize(found.join(known, known.columns, "left_anti"), "round")
         if new.isEmpty():
             return known
         known = known.unionByName(new)
+        if k % COMPACT == COMPACT - 1:  # many small parts become one table again
+            known = materialize(known, "known")
     raise RuntimeError(f"no fixpoint after {most_rounds} rounds")
 
 

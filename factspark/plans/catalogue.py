@@ -13,7 +13,8 @@ from ..operators import aggregates as agg
 from ..operators import records as rec
 from ..operators import recursion
 from ..operators import relational as rel
-from ..sources import inputs
+from ..sources import inputs, outputs
+from ..storage import fresh_path
 from ..streaming import runner
 from . import program as prog
 
@@ -418,12 +419,11 @@ def watch_objects(t):
     return rec.objects(rel.lookup(n, F.col("n_nationkey").cast("string"), ["n_name", "n_regionkey"]), ["n_name", "n_regionkey"])
 
 
-@query("""SELECT o_custkey::VARCHAR AS e, 'lines' AS a, o_custkey || '|lines|' || (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) AS v FROM orders WHERE o_custkey <= 20
-UNION ALL SELECT o_custkey || '|lines|' || (row_number() OVER w - 1), 'key', o_orderkey::VARCHAR FROM orders WHERE o_custkey <= 20 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)
-UNION ALL SELECT o_custkey || '|lines|' || (row_number() OVER w - 1), 'index', (row_number() OVER w)::VARCHAR FROM orders WHERE o_custkey <= 20 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
+@query("""SELECT o_custkey::VARCHAR AS e, 'lines' AS a, o_custkey || '|lines|' || (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) AS v FROM orders
+UNION ALL SELECT o_custkey || '|lines|' || (row_number() OVER w - 1), 'key', o_orderkey::VARCHAR FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)
+UNION ALL SELECT o_custkey || '|lines|' || (row_number() OVER w - 1), 'index', (row_number() OVER w)::VARCHAR FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
 def nested_ingest(t):
-    small = t("orders").filter("o_custkey <= 20")
-    nested = small.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("key")))).alias("lines"))
+    nested = t("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("key")))).alias("lines"))
     return rel.fact_text(rec.flatten(nested, "o_custkey"))
 
 
@@ -559,6 +559,111 @@ def program_strata(t):
     return rel.fact_text(rel.scan(p.facts(), a="nations"))
 
 
+# Programs: order of rules, support, watches, connectors.
+
+
+def _regions(t, name: str = "name") -> DataFrame:
+    """Regions as facts: region|key has its name."""
+    r = t("region").select(F.concat(F.lit("region|"), F.col("r_regionkey").cast("string")).alias("e"), F.col("r_name").alias("s"))
+    return r.select("e", F.lit(name).alias("a"), rec.text(F.col("s")).alias("v"))
+
+
+def _copy(source: str, target: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda f: rel.scan(f, a=source).select("e", F.lit(target).alias("a"), "v")
+
+
+@query("SELECT 'region|' || r_regionkey AS e, a, r_name AS v FROM region, (VALUES ('name'), ('x'), ('y'), ('z')) AS n(a)")
+def rule_chain_program(t):
+    """Rules that feed each other are complete in any order."""
+    p = prog.Program(t("region").sparkSession)
+    p.bind("third", _copy("y", "z")).bind("second", _copy("x", "y")).bind("first", _copy("name", "x"))
+    return rel.fact_text(p.insert(_regions(t)).facts())
+
+
+@query("SELECT 'foo' AS e, 'bar' AS a, 'baz' AS v")
+def constants_block(t):
+    """A rule without any pattern holds always."""
+    spark = t("region").sparkSession
+    p = prog.Program(spark).bind("constant", lambda f: prog.changes(spark, [("add", "foo", "bar", "baz")]).select("e", "a", "v"), recursive=False)
+    return rel.fact_text(p.facts())
+
+
+@query("SELECT 'region|' || r_regionkey AS e, 'tag' AS a, 'known' AS v FROM region WHERE r_regionkey <> 2")
+def support_counting(t):
+    """A fact that two rules derive stays while one of them does."""
+    p = prog.Program(t("region").sparkSession)
+    for source in ("name", "alias"):
+        p.bind(source, lambda f, a=source: rel.scan(f, a=a).select("e", F.lit("tag").alias("a"), rec.text("known").alias("v")), recursive=False)
+    p.insert(_regions(t).unionByName(_regions(t, "alias").filter("e <> 'region|2'")))
+    p.delete(_regions(t))
+    return rel.fact_text(rel.scan(p.facts(), a="tag"))
+
+
+@query("SELECT 'add' AS change, r_name AS name FROM region WHERE r_regionkey >= 3 UNION ALL SELECT 'remove', r_name FROM region WHERE r_regionkey < 2")
+def watch_program(t):
+    """What a watch hears in a transaction that adds and removes."""
+    heard: list[DataFrame] = []
+
+    def handler(came: DataFrame, went: DataFrame) -> None:
+        heard.append(came.select(F.lit("add").alias("change"), "name").unionByName(went.select(F.lit("remove").alias("change"), "name")))
+
+    all_ = _regions(t)
+    first, last = all_.filter("e < 'region|3'"), all_.filter("e >= 'region|3'")
+    p = prog.Program(all_.sparkSession).watch("names", lambda f: rel.scan(f, a="name").select(F.col("v.s").alias("name")), handler)
+    p.insert(first)
+    p.input(last.select(F.lit("add").alias("op"), "e", "a", "v").unionByName(first.filter("e < 'region|2'").select(F.lit("remove").alias("op"), "e", "a", "v")))
+    return heard[-1]
+
+
+@query("SELECT 'region|' || r_regionkey AS e, 'label' AS a, upper(r_name) AS v FROM region")
+def forward_program(t):
+    """One program's matches are another's input; the rules come from a connector."""
+    spark = t("region").sparkSession
+    second, first = prog.Program(spark), prog.Program(spark)
+    upper = lambda f: rel.scan(f, a="name").select("e", F.lit("label").alias("a"), rec.text(F.upper("v.s")).alias("v"))
+    first.register("labels", lambda p: p.watch("labels", upper, prog.forward(second))).attach("labels").unregister("labels")
+    first.insert(_regions(t))
+    return rel.fact_text(second.facts())
+
+
+@query("SELECT 'customer|' || c_custkey AS e, lower(c_mktsegment) AS a, CASE WHEN c_acctbal = floor(c_acctbal) THEN c_acctbal::BIGINT::VARCHAR ELSE c_acctbal::VARCHAR END AS v FROM customer")
+def commit_named_attribute(t):
+    """A change whose attribute a column names."""
+    rows = t("customer").withColumn("e", F.concat(F.lit("customer|"), F.col("c_custkey").cast("string")))
+    change = rec.add_value(rows, F.col("e"), F.lower("c_mktsegment"), rec.number(F.col("c_acctbal")))
+    return rel.fact_text(rec.apply_changes(rows.select("e", F.lit("x").alias("a"), rec.number(0).alias("v")).limit(0), change))
+
+
+@query("SELECT 'region|' || r_regionkey AS e, r_name AS name FROM region")
+def free_record(t):
+    """Entities with an attribute, whatever they are."""
+    return rel.records(_regions(t), ["name"]).select("e", F.col("name.s").alias("name"))
+
+
+@query("""WITH b AS (SELECT r_name AS name, row_number() OVER (ORDER BY r_name) AS place FROM region),
+a AS (SELECT r_name AS name, row_number() OVER (ORDER BY r_name) AS place FROM region WHERE r_name <> 'ASIA')
+SELECT 'add' AS change, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'remove', * FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def re_rank(t):
+    """Places change when a row goes; the difference tells which."""
+    names = t("region").select(F.col("r_name").alias("name"))
+    came, went = prog.difference(agg.gather_sort(names, ["name"], name="place"), agg.gather_sort(names.filter("name <> 'ASIA'"), ["name"], name="place"))
+    return came.select(F.lit("add").alias("change"), "name", "place").unionByName(went.select(F.lit("remove").alias("change"), "name", "place"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 10 <> 0 THEN p_size END AS size FROM part ORDER BY size NULLS FIRST, p_partkey LIMIT 7")
+def limit_n_nulls(t):
+    """The first of all rows, whose projection may be null."""
+    sized = t("part").select("p_partkey", F.when(F.col("p_size") % 10 != 0, F.col("p_size")).alias("size"))
+    return agg.limit_to(sized, ["size", "p_partkey"], 7)
+
+
+@query("SELECT c_custkey, n FROM (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 2 = 0 THEN floor(c_acctbal)::BIGINT::VARCHAR ELSE 'none' END AS n FROM customer) WHERE try_cast(n AS DOUBLE) IS DISTINCT FROM c_acctbal")
+def compare_mixed(t):
+    """A number is unequal to a text that is another number, or none."""
+    c = t("customer").withColumn("n", F.when(F.col("c_custkey") % 2 == 0, F.floor("c_acctbal").cast("string")).otherwise("none"))
+    return c.filter(fn.not_equal(F.col("c_acctbal"), F.col("n"))).select("c_custkey", "n")
+
+
 # Sources and streams.
 
 
@@ -574,6 +679,46 @@ def table_facts(t):
     return rel.fact_text(inputs.table_facts(t("region"), "region", ["r_regionkey"], ["r_name"]))
 
 
+@query("SELECT r_name AS name, 'about ' || r_name AS contents, NULL::VARCHAR AS error FROM region UNION ALL SELECT 'missing', NULL, 'ENOENT'")
+def file_read(t):
+    """Texts written as files by name, then read back by path, with a path that has no file."""
+    r = t("region")
+    spark, folder = r.sparkSession, fresh_path(r.sparkSession, "files")
+    done = outputs.write_texts(r.select(F.col("r_name").alias("name"), F.concat(F.lit("about "), F.col("r_name")).alias("contents")), folder)
+    files = spark.read.format("binaryFile").load(f"{folder}/*/*.txt*").select("path", F.regexp_extract("path", "name=([^/]*)/", 1).alias("name"))
+    paths = files.join(done.filter("complete"), "name").select("path", "name").unionByName(spark.range(1).select(F.lit(f"{folder}/none").alias("path"), F.lit("missing").alias("name")))
+    read = inputs.read_texts(spark, paths).withColumn("contents", F.rtrim(F.col("contents"), F.lit("\n")))
+    return read.join(paths, "path").select(F.url_decode(F.regexp_replace("name", r"\+", "%2B")).alias("name"), "contents", "error")
+
+
+@query("SELECT (SELECT count(*) FROM customer) AS n")
+def random_ids(t):
+    """As many ids as rows."""
+    return inputs.random_ids(t("customer")).agg(F.countDistinct("id").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('B', 'tag', 'input'), ('B', 'arg0', '2'), ('B', 'arg1', 'foo'), ('C', 'tag', 'input')) AS f(e, a, v)")
+def input_notation(t):
+    """Two transactions of the test notation."""
+    p = prog.Program(t("region").sparkSession)
+    for change in inputs.sequence_changes(p.spark, "+A +B:2:foo;-A +C"):
+        p.input(change)
+    return rel.fact_text(p.facts())
+
+
+@query("""WITH e AS (SELECT ts, event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1)
+SELECT 'timer' AS e, a, v FROM (SELECT [['tag', 'timer'], ['year', year(ts)::VARCHAR], ['month', month(ts)::VARCHAR], ['day', day(ts)::VARCHAR], ['weekday', (dayofweek(ts) + 1)::VARCHAR], ['hour', hour(ts)::VARCHAR],
+['minute', minute(ts)::VARCHAR], ['second', second(ts)::VARCHAR], ['millisecond', '0'], ['timestamp', ((epoch_us(ts) // 1000000) * 1000)::VARCHAR]] AS l FROM e), (SELECT unnest(range(1, 11)) AS k), LATERAL (SELECT l[k][1] AS a, l[k][2] AS v)""")
+def timer_ticks(t):
+    """Two ticks after each other: of the first nothing is left."""
+    e = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ticks = e.select(F.col("event_id").alias("tick"), *[c.alias(n) for n, c in inputs.calendar(F.col("ts")).items()])
+    p = prog.Program(e.sparkSession)
+    for part in (ticks.filter("tick % 7 = 0"), ticks):
+        p.input(inputs.tick_changes(part))
+    return rel.fact_text(p.facts()).filter("a <> 'tick'")
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")

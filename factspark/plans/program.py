@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.records import CHANGE, FACT, apply_changes
+from ..operators.recursion import COMPACT
 from ..storage import materialize
 
 Rule = Callable[[DataFrame], DataFrame]
@@ -35,7 +36,7 @@ class Program:
     spark: SparkSession
     most_rounds: int = 10_000
     most_frames: int = 10
-    binds: dict[str, tuple[int, bool, Rule]] = field(default_factory=dict)
+    binds: dict[str, tuple[int, bool | None, Rule]] = field(default_factory=dict)
     commits: dict[str, Rule] = field(default_factory=dict)
     watches: dict[str, Watch] = field(default_factory=dict)
     connectors: dict[str, Callable[[Program], None]] = field(default_factory=dict)
@@ -45,8 +46,13 @@ class Program:
     def __post_init__(self) -> None:
         self.stored = self.spark.createDataFrame([], FACT)
 
-    def bind(self, name: str, rule: Rule, stratum: int = 0, recursive: bool = False) -> Program:
-        """Derive facts. A rule that negates, counts or ranks what other rules derive belongs into a later stratum."""
+    def bind(self, name: str, rule: Rule, stratum: int = 0, recursive: bool | None = None) -> Program:
+        """Derive facts. A rule that negates, counts or ranks what other rules derive belongs into a later stratum.
+
+        The rules of a stratum run until none finds anything new, whatever their order.
+        ``recursive=False`` says that no rule of the stratum reads what its rules make,
+        and saves the round that would find that out (if all of them say so).
+        """
         if name in self.binds:
             raise ValueError(f"{name} is already bound")
         self.binds[name] = (stratum, recursive, rule)
@@ -70,8 +76,22 @@ class Program:
         self.watches[name] = Watch(rule, handler)
         return self
 
+    def register(self, name: str, connector: Callable[[Program], None]) -> Program:
+        """Name a connector: a function that adds rules, commits and watches to a program."""
+        if name in self.connectors:
+            raise ValueError(f"there is a connector {name} already")
+        self.connectors[name] = connector
+        return self
+
+    def unregister(self, name: str) -> Program:
+        """Forget a connector; what it added stays."""
+        del self.connectors[name]
+        return self
+
     def attach(self, name: str) -> Program:
         """Add the rules of a registered connector."""
+        if name not in self.connectors:
+            raise KeyError(f"no connector {name}; there are {sorted(self.connectors)}")
         self.connectors[name](self)
         return self
 
@@ -82,7 +102,7 @@ class Program:
             rules = [(recursive, rule) for s, recursive, rule in self.binds.values() if s == stratum]
             for k in range(self.most_rounds + 1):
                 found = reduce(lambda x, y: x.unionByName(y), [r(known).select("e", "a", "v") for _, r in rules]).distinct()
-                if not any(recursive for recursive, _ in rules):
+                if all(recursive is False for recursive, _ in rules):
                     known = materialize(known.unionByName(found).distinct(), "facts")
                     break
                 new = materialize(found.join(known, ["e", "a", "v"], "left_anti"), "new")
@@ -91,8 +111,19 @@ class Program:
                 if k == self.most_rounds:
                     raise RuntimeError(f"no fixpoint after {self.most_rounds} rounds")
                 known = known.unionByName(new)
+                if k % COMPACT == COMPACT - 1:
+                    known = materialize(known, "known")
         return known
 
+    def restore(self, stored: DataFrame) -> Program:
+        """Go on from stored facts of an earlier run; commits and watches count what holds now as known."""
+        self.stored = materialize(stored.select("e", "a", "v"), "stored")
+        now = self.facts()
+        self._fire(now)
+        for watch in self.watches.values():
+            watch.seen = materialize(watch.rule(now).distinct(), "watch")
+        return self
+
     def input(self, changes: DataFrame) -> Program:
         """One transaction: changes (op, e, a, v), derivation, commits frame by frame, watches."""
         self.stored = materialize(apply_changes(self.stored, changes), "stored")

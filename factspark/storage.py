@@ -16,8 +16,10 @@ LOCAL_DEFAULT = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session (one of our own only where it is unset)."""
+    """The shared folder of this session (one of our own only where it is unset and the session is local)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or LOCAL_DEFAULT).rstrip("/")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.records import FACT
 from ..plans.program import Program
 from ..storage import fresh_path
 
@@ -22,17 +23,39 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], check
 
 
 def feed(stream: DataFrame, program: Program, to_changes: Callable[[DataFrame], DataFrame], **options) -> StreamingQuery:
-    """Run a program on a stream; a batch that comes again after a restart is skipped."""
-    done: set[int] = set()
+    """Run a program on a stream, one transaction a batch.
+
+    With a ``checkpoint`` the stored facts are written there after each batch. A new
+    process goes on from the last of them, and a batch that comes again is skipped.
+    """
+    checkpoint = options.get("checkpoint")
+    state = f"{checkpoint}/facts" if checkpoint else None
+    done = -1
+    if state and _exists(stream.sparkSession, state):
+        kept = stream.sparkSession.read.schema(f"{FACT}, batch long").parquet(state)
+        done = kept.agg(F.max("batch")).first()[0]
+        program.restore(kept.filter((F.col("batch") == done) & F.col("e").isNotNull()))
 
     def each(batch: DataFrame, number: int) -> None:
-        if number not in done:
-            program.input(to_changes(batch))
-            done.add(number)
+        nonlocal done
+        if number <= done:
+            return
+        program.input(to_changes(batch))
+        if state:
+            # A row without entity marks the batch, as there may be no facts.
+            mark = stream.sparkSession.createDataFrame([(None, None, None)], FACT)
+            rows = program.stored.select("e", "a", "v").unionByName(mark).withColumn("batch", F.lit(number).cast("long"))
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(state)
+        done = number
 
     return run_batches(stream, each, **options)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(named.getFileSystem(spark._jsc.hadoopConfiguration()).exists(named))
+
+
 def latest_of(spark: SparkSession, stream: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key over the whole stream, kept as a table that each batch replaces."""
     state: dict[str, str] = {}
