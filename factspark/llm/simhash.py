@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
@@ -221,9 +221,25 @@ def near_groups(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` that come first in their group; rows without doc_id stay unless a named one has their text's fingerprint."""
-    groups = near_groups(docs, radius).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    """One row of ``docs`` of each group, unchanged: that with the smallest doc_id.
+
+    Of rows that repeat that doc_id the one with the smallest text stays (null first).
+    Rows without doc_id stay only where no named row has their text's fingerprint, one
+    for each fingerprint.
+    """
+    groups = materialize(near_groups(docs, radius), "groups")
+    first = materialize(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "first")
+    once = docs.join(first.filter("n = 1"), "doc_id", "left_semi")
+    # Rows travel as one struct, so their column names cannot clash with ours.
+    rows = docs.filter("doc_id is not null").select(F.struct(*docs.columns).alias("row")).join(first.filter("n > 1").withColumnRenamed("doc_id", "id"), F.col("row.doc_id") == F.col("id"), "left_semi")
+    number = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text"))
+    named = once.unionByName(rows.withColumn("number", number).filter("number = 1").select("row.*"))
+    nameless = materialize(docs.filter("doc_id is null").select(F.monotonically_increasing_id().alias("id"), F.struct(*docs.columns).alias("row")), "nameless")
+    if nameless.isEmpty():
+        return named
+    prints = fingerprints(nameless.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text"))).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
+    alone = prints.join(groups.filter("doc_id is not null").select("fingerprint"), "fingerprint", "left_anti").groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
+    return named.unionByName(nameless.join(alone.select("id"), "id", "left_semi").select("row.*"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,4 +90,7 @@ def test_edges(spark):
     rows = simhash.near_groups(spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (None, "zz"), (9, "q w"), (9, "a b c d")], schema)).collect()
     assert sorted((str(r.doc_id), r.component_id) for r in rows if r.component_id) == [("7", 7), ("7", 7), ("9", 7), ("9", 7), ("None", 7)]
     kept = simhash.keep_one_of_each(spark.createDataFrame([(3, "x y z"), (1, "x y z"), (None, "x y z")], schema))
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1"]
+    again = [(5, "a b c d", 1), (5, "a b c d", 2), (5, "a b c d", 3), (8, "a b c d", 4), (None, "a b c d", 5), (None, "alone here now", 6), (None, "alone here now", 7), (9, "other words are here", 8)]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(again, "doc_id long, text string, row int")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("5", "a b c d"), ("9", "other words are here"), ("None", "alone here now")]
