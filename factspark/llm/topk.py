@@ -55,7 +55,9 @@ def best_of_slice(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarra
         if exact:
             score = np.rint(floats_q @ floats_v[part][some].T).astype(np.int64)
         else:
-            score = (queries.astype(object) @ vectors[part][some].T.astype(object)).astype(np.int64)
+            # Python's whole numbers, exact at any size; what no long holds becomes the nearest one that is.
+            exact_score = queries.astype(object) @ vectors[part][some].T.astype(object)
+            score = np.clip(exact_score, -(2**63), 2**63 - 1).astype(np.int64)
         mask = alive[:, some] & (ids[part][some][None, :] != query_ids[:, None])
         for q in np.flatnonzero((mask & (score >= floor[:, None])).any(axis=1)):
             take = np.flatnonzero(mask[q] & (score[q] >= floor[q]))
@@ -108,7 +110,8 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: float = 64
     vec_id. Rows with a null vec_id, a null vector or a null or non-finite component
     take no part. Vectors of another length than the query's are no candidates. Rows
     that repeat a vec_id are all candidates of other queries; of a query that repeats,
-    one row asks. Other columns are ignored.
+    one row asks. Components and scores past the range of a long become its nearest
+    end. Other columns are ignored.
     """
     spark = embeddings.sparkSession
     x = F.col("embedding")

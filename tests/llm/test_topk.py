@@ -43,3 +43,10 @@ def test_bounds_hold_and_prune():
     a, b, c = topk.best_of_slice(q, np.arange(30), v, np.arange(100, 100 + len(v)), 5)
     want = [(i, *x) for i in range(30) for x in sorted(((-int(s), 100 + j) for j, s in enumerate(v @ q[i])))[:5]]
     assert [(x, -s, y) for x, y, s in zip(a.tolist(), b.tolist(), c.tolist())] == want
+
+
+def test_huge_components(spark):
+    """Finite components of any size: scores end at the range of a long."""
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [-1e300, 0.0]), (3, [1e8, 1e8])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1, 2**63 - 1), (2, 3, 2**63 - 1), (3, 2, -(2**63))]
