@@ -649,7 +649,8 @@ def _frequent_windows(docs: DataFrame, plan: Plan) -> DataFrame:
 
     parts = distinct.mapInArrow(cut, "doc_id long, key long, last long, name string, at long, count int, piece binary")
     solved = parts.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "name string, at long, n int, least long")
-    by_name = solved.groupBy("name").agg(F.collect_list(F.struct("at", "n", "least")).alias("found"))
+    # Written first, so that the join reads plain inputs, which AQE splits where a name is hot.
+    by_name = materialize(solved.groupBy("name").agg(F.collect_list(F.struct("at", "n", "least")).alias("found")), "solved")
     earlier = F.filter("found", lambda s: s["least"] < F.col("doc_id"))
     spans = F.transform(earlier, lambda s: F.struct((F.col("first") + s["at"]).alias("first"), s["n"].alias("count")))
     return often.join(by_name, "name").select("doc_id", "uid", spans.alias("spans")).filter(F.size("spans") > 0)
