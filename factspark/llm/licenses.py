@@ -217,20 +217,20 @@ def train(docs: DataFrame, most_rows: int = UNKNOWN_ROWS, seed: int = 1) -> Mode
     """Learn the families from altered copies of the templates, and the unknown class from corpus lines.
 
     Copies lose, swap or gain some words. The unknown class has the decoys, templates
-    with their words shuffled, and lines of about ``most_rows`` documents chosen by a
-    hash of their text that no template covers. A fifth of all rows is kept aside to
+    with their words shuffled, and of about ``most_rows`` documents chosen by a hash of
+    their text one whole line each (the greatest by code point) that no template covers. A fifth of all rows is kept aside to
     find the temperature at which the probabilities fit best.
     """
     r = random.Random(seed)
     n = docs.filter("text is not null").count()
     sample = docs.filter("text is not null").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(min(1.0, most_rows / max(1, n)) * 1_000_000))
-    lines = sorted(x[0][0][:2000] for x in sample.select(F.slice(F.sort_array(F.split("text", "\n")), -1, 1)).collect() if x[0])
+    lines = sorted(x[0][0] for x in sample.select(F.slice(F.sort_array(F.split("text", "\n")), -1, 1)).collect() if x[0])
     templates: dict[str, list[frozenset]] = {}
     for family, text in TEMPLATES:
         templates.setdefault(family, []).append(_shingles(_words(text)))
     everything = [t for ts in templates.values() for t in ts]
     lines = [x for x in lines if coverage(_words(x), everything) < 0.5]
-    stock = [w.decode("utf-8", "replace") for x in lines[:500] for w in _words(x)] or ["lorem", "ipsum"]
+    stock = [w.decode("utf-8", "replace") for x in lines for w in _words(x)] or ["lorem", "ipsum"]
     families = [UNKNOWN, *sorted(templates)]
     texts, labels = [], []
     for family, text in TEMPLATES:
