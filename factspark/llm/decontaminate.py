@@ -29,17 +29,43 @@ def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return tokens.join(_small(vocabulary), "term").select("doc_id", "pos", "term")
 
 
-def anchors(items: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(item_id, at, term): of every window its rarest term in the corpus."""
+def term_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(term, n): how often the corpus has each of the benchmark's terms, counted before any posting is written."""
+    tokens = docs.select(F.explode(alnum_words(F.col("text"))).alias("term"))
+    return tokens.join(_small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
+
+
+def _by_rarity(items: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(item_id, n, span, by): the words of each item in order, as structs (n, at, term) that sort by rarity."""
     terms = items.select("item_id", F.posexplode("words").alias("at", "term"))
     ranked = (
         terms.join(frequency, "term", "left")
         .groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("ranked"))
     )
     by_rarity = F.transform("ranked", lambda x: F.struct(x["n"].alias("n"), x["at"].alias("at"), x["term"].alias("term")))
-    rarest = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("span") + 1), lambda s: F.array_min(F.slice("by", s, F.col("span"))))
-    found = ranked.join(items.select("item_id", "n", "span"), "item_id").withColumn("by", by_rarity)
-    return found.select("item_id", F.inline(F.array_distinct(rarest))).filter("n > 0").select("item_id", "at", "term")
+    return ranked.join(items.select("item_id", "n", "span"), "item_id").select("item_id", "n", "span", by_rarity.alias("by"))
+
+
+def anchors(items: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(item_id, at, term, next_at, next_term): of every window its two rarest terms in the corpus, the rarest first.
+
+    A window of one word has no next term (null). Windows with a term that the corpus
+    lacks cannot occur and are left out.
+    """
+    rarest = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("span") + 1), lambda s: F.slice(F.array_sort(F.slice("by", s, F.col("span"))), 1, 2))
+    two = _by_rarity(items, frequency).select("item_id", F.explode(F.array_distinct(rarest)).alias("two"))
+    first, second = F.get("two", F.lit(0)), F.get("two", F.lit(1))
+    return two.filter(first["n"] > 0).select("item_id", first["at"].alias("at"), first["term"].alias("term"), second["at"].alias("next_at"), second["term"].alias("next_term"))
+
+
+def candidate_offsets(index: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, item_id, shift): the posting lists of each window's two rarest terms, adjusted by their places in the item and intersected."""
+    first = index.join(_small(places), "term").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "next_at", "next_term")
+    alone = first.filter("next_term is null").select("doc_id", "item_id", "shift")
+    asked = first.filter("next_term is not null").withColumn("want", F.col("shift") + F.col("next_at"))
+    other = index.select(F.col("doc_id").alias("d"), F.col("pos").alias("p"), F.col("term").alias("t"))
+    both = asked.join(other, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("want") == F.col("p")) & (F.col("next_term") == F.col("t")), "left_semi")
+    return both.select("doc_id", "item_id", "shift").union(alone)
 
 
 def _matches(words: Column, item: Column, shift: Column, span: Column) -> Column:
@@ -58,10 +84,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
 
     Words are runs of ASCII letters (A-Z lower-cased), digits and non-ASCII
     characters. A window is ``width`` consecutive words of an item, or the whole of
-    an item that has fewer. The index holds the postings of all benchmark terms.
-    Each window is looked up by its rarest term; posting positions less the term's
-    place in the item give candidate offsets, which are intersected over all terms
-    of the item by comparing the words there, so matches are exact.
+    an item that has fewer. Terms are counted first, then the index is written: the
+    postings of the terms that are among the two rarest of some window. The lists of
+    these two, positions less the terms' places in the item, are intersected; at the
+    offsets in both, the words of document and item are compared, so matches are exact.
 
     Returns doc_id, n_words, n_hit (words inside a matching window), items (sorted
     ids of items with a matching window), offsets (item_id and document position of
@@ -74,12 +100,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     """
     items = materialize(item_words(benchmark, width), "items")
     vocabulary = materialize(items.select(F.explode("words").alias("term")).distinct(), "vocabulary")
-    index = materialize(postings(docs, vocabulary), "postings")
-    frequency = index.groupBy("term").agg(F.count("*").alias("n"))
+    frequency = materialize(term_counts(docs, vocabulary), "frequency")
     # Items may share an id: from here on each has a number of its own.
     items = materialize(items.withColumn("name", F.col("item_id")).withColumn("item_id", F.sha2(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.array_join("words", " ")), 256)).dropDuplicates(["item_id", "name"]), "items")
     places = materialize(anchors(items, frequency), "anchors")
-    offsets = index.join(_small(places), "term").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"))
+    used = places.select("term").union(places.filter("next_term is not null").select("next_term")).distinct()
+    index = materialize(postings(docs, materialize(used, "used")), "postings")
+    offsets = candidate_offsets(index, places)
     texts = items.select("item_id", "name", F.col("words").alias("item"), "span")
     found = (
         offsets.groupBy("doc_id", "item_id").agg(F.collect_set("shift").alias("shifts"))
@@ -128,7 +155,7 @@ def near_phrases(docs: DataFrame, phrases: DataFrame, slop: int = 3) -> DataFram
     vocabulary = materialize(items.select(F.explode("words").alias("term")).distinct(), "vocabulary")
     index = materialize(postings(docs.filter("doc_id is not null"), vocabulary), "postings")
     frequency = index.groupBy("term").agg(F.count("*").alias("n"))
-    rarest = anchors(items, frequency)
+    rarest = anchors(items, frequency).select("item_id", "at", "term").distinct()
     needs = items.select("item_id", F.posexplode("words").alias("place", "need"))
     size = needs.groupBy("item_id").agg(F.countDistinct("need").alias("terms"))
     starts = index.join(rarest, "term").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("start"))
